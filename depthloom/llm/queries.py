@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
-from depthloom.llm import common, packing, token_counts
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {
-    "op5_packing": lambda spark, sf_dir: packing.digest(packing.pack(common.read(spark, sf_dir, "documents"))),
-    "op9_token_counts": lambda spark, sf_dir: token_counts.token_counts(common.read(spark, sf_dir, "documents")),
-}
+from depthloom.llm import fingerprints, line_dedup, mixing, packing, robust_quality, token_counts
+from depthloom.llm.common import read
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(spark, sf_dir)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_quality.robust_quality(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_mixing, op5_packing, op8_fingerprints, op9_token_counts, op10_robust_quality)}
+
+ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op4_mixing": mixing.SQL}
