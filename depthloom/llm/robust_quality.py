@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from depthloom.llm.common import SPACE, materialise, words
 
 #: The transformed statistics, and the least spread that each is taken to have.
-DIMS = {"z_words": 0.8, "z_length": 0.12, "z_symbols": 0.05, "z_lines": 0.08, "z_repeats": 0.12}
+DIMS = {"z_words": 0.8, "z_length": 0.25, "z_symbols": 0.05, "z_lines": 0.08, "z_repeats": 0.12}
 SUBSET = 0.75
 STEPS = 4
 CONFIDENCE = 0.9999
@@ -71,7 +71,7 @@ def _vector() -> list[Column]:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return [
         F.log(1 + n).alias("z_words"),
-        (F.log(1 + ratio(chars, n)) * F.sqrt(F.least(F.lit(1.0), n / 200))).alias("z_length"),
+        F.log(1 + ratio(chars, n)).alias("z_length"),
         F.sqrt(ratio(F.col("n_symbols"), chars)).alias("z_symbols"),
         F.sqrt(ratio(F.col("n_dup_lines"), n)).alias("z_lines"),
         F.sqrt(ratio(F.col("n_repeat_words"), n)).alias("z_repeats"),

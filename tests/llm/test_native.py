@@ -98,7 +98,7 @@ def test_determinant_steps_equal_numpy(spark):
         z = []
         for i in ids:
             n, chars, symbols, dup, rep = plain_counts(texts[i])
-            z.append([np.log1p(n), np.log1p(chars / n) * min(1, n / 200) ** 0.5, (symbols / chars) ** 0.5, (dup / n) ** 0.5, (rep / n) ** 0.5])
+            z.append([np.log1p(n), np.log1p(chars / n), (symbols / chars) ** 0.5, (dup / n) ** 0.5, (rep / n) ** 0.5])
         z = np.array(z)
         lower = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
         m = np.array([lower(z[:, j], 0.5) for j in range(p)])
