@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthloom.llm import fingerprints, line_dedup, mixing, packing, robust_quality, token_counts
+from depthloom.llm import fingerprints, line_dedup, minhash, mixing, packing, robust_quality, token_counts
 from depthloom.llm.common import read
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
 
@@ -32,6 +36,6 @@ def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_quality.robust_quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_mixing, op5_packing, op8_fingerprints, op9_token_counts, op10_robust_quality)}
+QUERIES = {f.__name__: f for f in (op2_minhash, op3_line_dedup, op4_mixing, op5_packing, op8_fingerprints, op9_token_counts, op10_robust_quality)}
 
 ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op4_mixing": mixing.SQL}
