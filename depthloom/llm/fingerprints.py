@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depthloom.llm.common import words
+from depthloom.llm.common import materialise, words
 
 K = 4
 S = 2
@@ -92,6 +92,7 @@ def with_next(docs: DataFrame, key: str, value: Column, tie: str) -> DataFrame:
     around = Window.orderBy(F.col("_range").desc())
     # one row per range: its number, its first key, and the range that comes before it in descending order
     before = heads.select(F.col("_range").alias("_r"), "_top", F.coalesce(F.lag("_range").over(around), F.min("_range").over(Window.partitionBy())).alias("_for"))
+    before = materialise(before, "ranges")  # its size is then known, and the texts need no shuffle to meet it while it is small
     firsts = ranged.join(before, (F.col("_range") == F.col("_r")) & (F.col(key) == F.col("_top"))).groupBy("_for").agg(F.max_by(value, F.col(tie)).alias("_first"))
     return placed.join(firsts, F.col("_range") == F.col("_for"), "left").select(*own, F.when(F.col("_ends"), F.col("_first")).otherwise(F.col("_next")).alias("_next"))
 
