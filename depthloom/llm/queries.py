@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depthloom.llm import fingerprints, line_dedup, minhash, mixing, packing, quality_cnn, robust_quality, token_counts, toxicity
+from depthloom.llm import fingerprints, line_dedup, minhash, mixing, packing, pitman_yor, quality_cnn, robust_quality, token_counts, toxicity
 from depthloom.llm.common import read
 
 
@@ -32,6 +32,10 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_quality.robust_quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_line_dedup, op4_mixing, op5_packing, op6_quality_cnn, op8_fingerprints, op9_token_counts, op10_robust_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash, op3_line_dedup, op4_mixing, op5_packing, op6_quality_cnn, op7_language_model, op8_fingerprints, op9_token_counts, op10_robust_quality)}
 
 ORACLE_SQL = {"op3_line_dedup": line_dedup.SQL, "op4_mixing": mixing.SQL}

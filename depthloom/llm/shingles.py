@@ -45,6 +45,10 @@ class Words:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hash of every word, and for each text where its words begin among them (one more entry at the end)."""
+        return self.placed(texts)[:2]
+
+    def placed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As for a call, and the joined lower-cased bytes with each word's first place and the place after its last."""
         data = np.frombuffer(b" ".join(texts), np.uint8)  # a space between texts parts their words
         ends = np.cumsum([len(t) + 1 for t in texts])
         if len(data) + 1 > len(self.up):
@@ -55,9 +59,10 @@ class Words:
         edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
         first, last = edge[0::2], edge[1::2]
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE[LOWER[data]] * up[: len(data)], out=total[1:])
+        lower = LOWER[data]
+        np.cumsum(BYTE[lower] * up[: len(data)], out=total[1:])
         found = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
-        return found, np.concatenate([[0], np.searchsorted(first, ends)])
+        return found, np.concatenate([[0], np.searchsorted(first, ends)]), lower, first, last
 
 
 def batches(texts: list[bytes]) -> list[list[bytes]]:
