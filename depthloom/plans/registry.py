@@ -490,3 +490,72 @@ def greedy_levels(spark, d):
     slices = _room(spark, d).groupBy(F.floor(F.col("y") / 0.1).cast("bigint").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("area"), F.avg("y").alias("height"))
     top = slices.orderBy(F.col("area").desc(), "b").limit(12).select("area", F.round("height", 6).alias("height"))
     return metrics.greedy_levels(top).select(F.array_join(F.transform("levels", lambda x: F.format_string("%.6f", x)), ",").alias("levels"))
+
+
+CHECKS = (
+    LISTED + ",\n" + PARSED + r""", pose AS (SELECT DISTINCT frame_id AS id FROM good), conf AS (SELECT DISTINCT CAST(regexp_extract(file_name, '^([0-9]+)\.png$', 1) AS INT) AS id FROM fx_conf_files),
+checks AS (
+ SELECT 'malformed_rows' AS code, 'warning' AS severity, count(*) AS n FROM parsed WHERE malformed
+ UNION ALL SELECT 'duplicate_frames', 'error', count(*) FROM (SELECT frame_id FROM good GROUP BY frame_id HAVING count(*) > 1) q
+ UNION ALL SELECT 'depth_gaps', 'warning', (SELECT max(id)-min(id)+1-count(*) FROM dep)
+ UNION ALL SELECT 'depth_without_confidence', 'warning', count(*) FROM dep WHERE id NOT IN (SELECT id FROM conf)
+ UNION ALL SELECT 'depth_without_pose', 'warning', count(*) FROM dep WHERE id NOT IN (SELECT id FROM pose)
+ UNION ALL SELECT 'odd_names', 'warning', count(*) FROM fx_depth_files WHERE NOT regexp_matches(file_name, '^[0-9]+\.(png|PNG)$'))"""
+)
+
+
+@query(CHECKS + "\nSELECT code, severity, CAST(n AS BIGINT) AS n, (SELECT CASE WHEN sum(CASE WHEN severity = 'error' AND n > 0 THEN 1 ELSE 0 END) > 0 THEN 'INVALID' WHEN sum(n) > 0 THEN 'VALID WITH WARNINGS' ELSE 'VALID' END FROM checks) AS status FROM checks", "fx_depth_files", "fx_odometry_raw", "fx_conf_files")
+def validation_status(spark, d):
+    """Each check's count and severity, and the verdict over all."""
+    parsed, listed_ = _odometry(spark, d), frames.listed(view(spark, d, "fx_depth_files"))
+    depth_ids, good = listed_.filter("frame_id IS NOT NULL"), parsed.filter("NOT malformed")
+    conf = frames.alignment(depth_ids, _ids(spark, d, "fx_conf_files")).filter("side = 'a'")
+    parts = [
+        ("malformed_rows", "warning", parsed.filter("malformed").select(F.lit(1).alias("n"))),
+        ("duplicate_frames", "error", frames.duplicates(good).select(F.lit(1).alias("n"))),
+        ("depth_gaps", "warning", frames.gaps(depth_ids).select(F.col("missing").alias("n"))),
+        ("depth_without_confidence", "warning", conf.select(F.lit(1).alias("n"))),
+        ("depth_without_pose", "warning", frames.alignment(depth_ids, good).filter("side = 'a'").select(F.lit(1).alias("n"))),
+        ("odd_names", "warning", listed_.filter("frame_id IS NULL").select(F.lit(1).alias("n"))),
+    ]
+    checks = None
+    for code, severity, rows in parts:
+        one = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n")
+        checks = one if checks is None else checks.unionByName(one)
+    from pyspark.sql import Window
+
+    every = Window.partitionBy()  # six rows
+    errors, any_ = F.sum(F.when((F.col("severity") == "error") & (F.col("n") > 0), 1).otherwise(0)).over(every), F.sum("n").over(every)
+    return checks.withColumn("status", F.when(errors > 0, "INVALID").when(any_ > 0, "VALID WITH WARNINGS").otherwise("VALID"))
+
+
+@query()
+def plane_analysis(spark, d):
+    """Floor and ceiling of the room; iterative fits, so rows only."""
+    from depthloom.plans.planes import analysed
+
+    room = _room(spark, d).select(F.lit("room").alias("capture_id"), "x", "y", "z", F.struct("x", "y", "z").cast("string").alias("o"))
+    out = analysed(room, {"room": [-0.1, 0.2]})
+    return out.select("capture_id", *[F.get_json_object("report", f"$.{p}").alias(n) for n, p in (("floor_m", "floor.height_m"), ("floor_tilt_deg", "floor.tilt_deg"), ("floor_area_m2", "floor.solid_area_m2"), ("height_m", "ceiling_height.value_m"), ("halfwidth_m", "ceiling_height.interval_halfwidth_m"))], F.size("counts").alias("bins"))
+
+
+@query()
+def registration_edges(spark, d):
+    """Consecutive frames registered; iterative, so rows only."""
+    from dataclasses import replace
+
+    from depthloom.plans import drift
+
+    options = replace(DriftOptions(), min_points=50)
+    camera = _camera(spark, d)
+    ids = list(range(64))
+    rows = {r["pos"]: r for r in _matrices(spark, d).collect()}  # 64 poses
+    import numpy as np
+
+    poses = []
+    for i in ids:
+        m = np.eye(4)
+        m[:3, :3], m[:3, 3] = np.array([rows[i][c] for c in g.ROTATION]).reshape(3, 3), [rows[i][c] for c in ("tx", "ty", "tz")]
+        poses.append(m)
+    edges = drift.register(spark, drift.scans(camera, options), ids, poses, [(k, k + 1, "sequential") for k in ids[:-1]], options)
+    return spark.createDataFrame([(e.source, e.target, e.kind, e.accepted, e.reason, round(e.fitness, 5), round(e.inlier_rmse, 5)) for e in edges], "source int, target int, kind string, accepted boolean, reason string, fitness double, inlier_rmse double")
