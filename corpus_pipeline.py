@@ -31,7 +31,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 or more of its shingles of five words."""
     importable(spark)
-    return minhash.without_near_duplicates(docs, percent=80, bands=32)
+    return minhash.without_near_duplicates(docs, percent=80, bands=32, agree=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

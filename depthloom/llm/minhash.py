@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depthloom.llm.common import materialise
@@ -18,10 +18,9 @@ WIDTH = 5
 PERCENT = 85
 #: Two sets at 0.85 miss every one of 25 bands of 5 rows once in two million pairs.
 BINS, BANDS = 128, 25
-#: Bins that must agree before two full sets are compared: at 0.85 this is eight standard deviations below what is expected.
-AGREE = 77
-#: Members of a bucket that are centres at a time, in the rounds after the first.
-CENTRES = 64
+#: Bins that must agree before two full sets are compared: of 128 bins 109 are expected at 0.85, 102 at 0.8; sets of fewer than SMALL shingles need SMALL_AGREE.
+AGREE = 88
+SMALL, SMALL_AGREE = 250, 64
 
 
 @lru_cache(maxsize=2)
@@ -33,7 +32,8 @@ def _node(own: np.ndarray) -> int:
     """One number for a set, the same for equal sets."""
     from depthloom.llm.shingles import U, mix
 
-    return int(mix(np.array([mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + U(len(own)) * U(0x2545F4914F6CDD1D)]))[0].view(np.int64))
+    total = int(mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) + len(own) * 0x2545F4914F6CDD1D
+    return int(mix(np.array([total % (1 << 64)], np.uint64))[0].view(np.int64))
 
 
 def _sets(column: pa.Array, width: int, words: Words) -> list[np.ndarray]:
@@ -66,22 +66,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bins: in
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in `least` bins or more."""
-    side = lambda x: nodes.select(F.col("node").alias(f"_{x}"), F.col("sketch").alias(f"_s{x}"))
-    met = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", "_sa", "_sb")
+    """The pairs (a, b) whose sketches agree in `least` bins or more; small sets, whose sketches say less and which cost little, need SMALL_AGREE."""
+    side = lambda x: nodes.select(F.col("node").alias(f"_{x}"), F.col("sketch").alias(f"_s{x}"), F.col("n_shingles").alias(f"_n{x}"))
+    met = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", "_sa", "_sb", (F.least("_na", "_nb") < SMALL).alias("small"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.filter(pa.array((one == two).sum(axis=1) >= least)).select(["a", "b"])
+            small = np.array(batch.column(4).to_pylist(), bool)
+            yield batch.filter(pa.array((one == two).sum(axis=1) >= np.where(small, min(least, SMALL_AGREE), least))).select(["a", "b"])
 
     return met.mapInArrow(agree, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Only texts of nodes in a pair are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_want")).distinct()
-    from_docs = nodes.join(wanted, F.col("node") == F.col("_want"), "left_semi").select(F.col("first_doc").alias("_doc"), F.col("node").alias("_node"))
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, own): the full shingle sets of the nodes in `wanted`, from their texts once more."""
+    from_docs = nodes.join(wanted.select(F.col("node").alias("_want")).distinct(), F.col("node") == F.col("_want"), "left_semi").select(F.col("first_doc").alias("_doc"), F.col("node").alias("_node"))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, _ = _tools(BINS, BANDS)
@@ -97,24 +97,47 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     # rows of one id can hold several texts: each is taken for what its own set says it is
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     met = texts.join(from_docs, F.col("_id").eqNullSafe(F.col("_doc"))).select("_node", "_text")
-    sets = materialise(met.mapInArrow(resolve, "node bigint, own array<bigint>").dropDuplicates(["node"]), "sets")
+    return materialise(met.mapInArrow(resolve, "node bigint, own array<bigint>").dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     side = lambda x: sets.select(F.col("node").alias(f"_{x}"), F.col("own").alias(f"_own_{x}"))
     met = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
     both = F.size(F.array_intersect("_own_a", "_own_b")).cast("long")
     return met.select("a", "b", both.alias("_both"), F.size("_own_a").cast("long").alias("_na"), F.size("_own_b").cast("long").alias("_nb")).filter(100 * F.col("_both") >= percent * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", centres: int = CENTRES, bands: int = BANDS, agree: int = AGREE) -> DataFrame:
+def _sharing_rare(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open nodes (node, label) with other labels that can be similar enough: exact, by prefixes.
+
+    Order shingles by how many open nodes hold them. Two sets of n shingles
+    that share `percent` of their union share one of their n - ceil(percent *
+    n / 100) + 1 rarest; in a group of copies that each have edits of their
+    own, most of those are held by one node alone and make no pair.
+    """
+    held = sets.join(open_.withColumnRenamed("node", "_o"), F.col("node") == F.col("_o"), "left_semi").select("node", F.explode("own").alias("s"))
+    shared = held.groupBy(F.col("s").alias("_s")).agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    found = held.join(shared, F.col("s") == F.col("_s")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("list"))
+    sized = found.join(sets.select(F.col("node").alias("_n"), F.size("own").alias("n")), F.col("node") == F.col("_n")).join(open_.withColumnRenamed("node", "_o"), F.col("node") == F.col("_o"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("list"))
+    prefix = sized.select("node", "label", "n", F.explode(F.slice("list", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("e")).select("node", "label", "n", F.col("e.s").alias("s"))
+    prefix = materialise(prefix, "prefixes")
+    a, b = (prefix.select(F.col("s").alias(f"s{x}"), F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    return a.join(b, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, agree: int = AGREE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
     Rows with equal sets of shingles are one node. Nodes meet in banded
-    buckets; the first round compares each with its bucket's least node only.
-    Where a bucket then still holds several components, further rounds take
-    its other members as centres, `centres` at a time, against those members
-    behind them that lie in another component, until none is left: every pair
-    of a bucket is compared or known to be connected, and a round makes at
-    most `centres` candidates per member. Candidates whose sketches agree too
-    little are dropped (see AGREE); full sets confirm all links.
+    buckets, and each is compared with its bucket's least node: at most one
+    candidate per node and band. Where a bucket then still holds several
+    components, two members may be similar that are both far from the centre;
+    an exact prefix filter over the members of such buckets finds those pairs,
+    so no link is lost that a bucket holds. Candidates whose sketches agree
+    too little are dropped (see AGREE); full sets confirm all links.
 
     component_id is the least doc_id that a row reaches over links, kept
     whether that is its own. Null and empty texts have no shingles, link with
@@ -125,30 +148,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     rows = materialise(signatures(docs, id_col, text_col, width, BINS, bands).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = rows.filter("node is not null").groupBy(F.col("node").alias("_n")).agg(F.min("row").alias("_row"), F.min("doc_id").alias("first_doc"))
-    nodes = materialise(rows.join(classes, F.col("row") == F.col("_row")).select("node", "first_doc", "keys", "sketch"), "nodes")
+    nodes = materialise(rows.join(classes, F.col("row") == F.col("_row")).select("node", "first_doc", "n_shingles", "keys", "sketch"), "nodes")
     dealt = nodes.select("node", F.explode("keys").alias("key"))
     stars = dealt.groupBy(F.col("key").alias("_k")).agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("_k", "centre")
     members = materialise(dealt.join(stars, F.col("key") == F.col("_k")).select("key", "centre", "node"), "members")
-    confirm = lambda pairs: _confirmed(materialise(_alike(pairs, nodes, agree), "pairs"), nodes, docs, id_col, text_col, width, percent)
-    links = materialise(confirm(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()), "links")
+    sets = _full_sets(members, nodes, docs, id_col, text_col, width)
+    # first the stars
+    pairs = materialise(_alike(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes, agree), "pairs")
+    links = materialise(_confirmed(pairs, sets, percent), "links")
     labels = components(links)
-    at = 0
-    while True:
-        named = members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy(F.col("key").alias("_k")).agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count(F.lit(1)).alias("_m")).filter((F.col("_x") < F.col("_y")) & (F.col("_m") > max(2, at + 1)))
-        open_ = named.join(mixed.select("_k"), F.col("key") == F.col("_k"), "left_semi")
-        order = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        ranked = materialise(open_.withColumn("rank", order), "ranked")
-        # the first of a bucket has met all others
-        some = ranked.filter((F.col("rank") > max(at, 1)) & (F.col("rank") <= at + centres)).select(F.col("key").alias("_k"), F.col("node").alias("a"), F.col("label").alias("_l"), F.col("rank").alias("_r"))
-        pairs = ranked.join(some, (F.col("key") == F.col("_k")) & (F.col("rank") > F.col("_r")) & (F.col("label") != F.col("_l"))).select("a", F.col("node").alias("b")).distinct()
-        found = materialise(confirm(pairs), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-        at += centres
-        if (ranked.agg(F.max("rank")).first()[0] or 0) <= at:
-            break
+    # then what the stars left apart within a bucket
+    named = members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy(F.col("key").alias("_k")).agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y").select("_k")
+    open_ = materialise(named.join(mixed, F.col("key") == F.col("_k"), "left_semi").select("node", "label").distinct(), "open")
+    pairs = materialise(_alike(_sharing_rare(open_, sets, percent), nodes, agree), "pairs")
+    more = materialise(_confirmed(pairs, sets, percent), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     named = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "first_doc", F.coalesce("label", "node").alias("label"))
     least = named.groupBy(F.col("label").alias("_l")).agg(F.min("first_doc").alias("component_id"))
     named = named.join(least, F.col("label") == F.col("_l")).select(F.col("node").alias("_n"), "component_id")

@@ -17,7 +17,7 @@ def plain_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [plain_set(t) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -29,7 +29,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and sets[j] and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+            if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 up[top(i)] = top(j)
     big = 1 << 62
     low = {}
@@ -64,9 +64,9 @@ def rows():
 def test_components_equal_brute_force(spark, rows):
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, node int, keys string").repartition(3)
     want = sorted(brute(rows), key=str)
-    for centres in (64, 2):
-        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, centres=centres).collect()), key=str)
-        assert got == want
+    for percent in (85, 80):
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, percent=percent, bands=25 if percent == 85 else 32).collect()), key=str)
+        assert got == (want if percent == 85 else sorted(brute(rows, 80), key=str))
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -85,7 +85,7 @@ def test_members_that_only_their_neighbours_link(spark):
         rows.append((i, " ".join(now)))
         now = edited(rng, now, 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, centres=4).collect()) == sorted(brute(rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()) == sorted(brute(rows))
 
 
 def test_components(spark):
