@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depthloom.llm.common import materialise
@@ -40,8 +40,8 @@ def _sets(column: pa.Array, width: int, words: Words) -> list[np.ndarray]:
     return shingle_sets([(t or "").encode() for t in column.to_pylist()], width, words)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bins: int = BINS, bands: int = BANDS) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (one number for the set; null if empty), keys (a bucket per band), sketch (16 bits a bin)."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, row: Column, width: int, bins: int = BINS, bands: int = BANDS) -> DataFrame:
+    """Per row: doc_id, row (its key, a bigint), n_shingles, node (one number for the set; null if empty), keys (a bucket per band), sketch (16 bits a bin)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,15 +54,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bins: in
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
+                        rows.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([sketcher.keys(m).view(np.int64) if m is not None else None for m in made], pa.list_(pa.int64())),
                         pa.array([(m & np.uint64(0xFFFF)).astype("<u2").tobytes() if m is not None else None for m in made], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "keys", "sketch"],
+                    names=["doc_id", "row", "n_shingles", "node", "keys", "sketch"],
                 )
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>, sketch binary")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), row.alias("_row")).mapInArrow(sign, f"doc_id {kind}, row bigint, n_shingles bigint, node bigint, keys array<bigint>, sketch binary")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
@@ -128,8 +129,8 @@ def _sharing_rare(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, agree: int = AGREE) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept.
+def _judged(docs: DataFrame, row: Column, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, agree: int = AGREE) -> DataFrame:
+    """Per row: doc_id, row, n_shingles, node, label (its component; null without a node), component_id (the component's least id).
 
     Rows with equal sets of shingles are one node. Nodes meet in banded
     buckets, and each is compared with its bucket's least node: at most one
@@ -138,15 +139,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     an exact prefix filter over the members of such buckets finds those pairs,
     so no link is lost that a bucket holds. Candidates whose sketches agree
     too little are dropped (see AGREE); full sets confirm all links.
-
-    component_id is the least doc_id that a row reaches over links, kept
-    whether that is its own. Null and empty texts have no shingles, link with
-    nothing and are kept. A null id counts as greater than any; a component of
-    null ids only has a null component_id and its rows are kept. Repeated rows
-    of a kept id are all kept. Other columns are not read; an empty table
-    gives no rows.
     """
-    rows = materialise(signatures(docs, id_col, text_col, width, BINS, bands).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    rows = materialise(signatures(docs, id_col, text_col, row, width, BINS, bands), "signatures")
     classes = rows.filter("node is not null").groupBy(F.col("node").alias("_n")).agg(F.min("row").alias("_row"), F.min("doc_id").alias("first_doc"))
     nodes = materialise(rows.join(classes, F.col("row") == F.col("_row")).select("node", "first_doc", "n_shingles", "keys", "sketch"), "nodes")
     dealt = nodes.select("node", F.explode("keys").alias("key"))
@@ -167,20 +161,39 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         labels = components(links.union(more))
     named = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "first_doc", F.coalesce("label", "node").alias("label"))
     least = named.groupBy(F.col("label").alias("_l")).agg(F.min("first_doc").alias("component_id"))
-    named = named.join(least, F.col("label") == F.col("_l")).select(F.col("node").alias("_n"), "component_id")
+    named = named.join(least, F.col("label") == F.col("_l")).select(F.col("node").alias("_n"), "label", "component_id")
     out = rows.join(named, F.col("node") == F.col("_n"), "left")
+    return out.select("doc_id", "row", "n_shingles", "node", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept. For the options see _judged.
+
+    component_id is the least doc_id that a row reaches over links, kept
+    whether that is its own. Null and empty texts have no shingles, link with
+    nothing and are kept. A null id counts as greater than any; a component of
+    null ids only has a null component_id and its rows are kept. Repeated rows
+    of a kept id are all kept. Other columns are not read; an empty table
+    gives no rows.
+    """
+    out = _judged(docs, F.monotonically_increasing_id(), id_col=id_col, text_col=text_col, **options)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs of which each component keeps one: that of its least id, and one row of that id. All columns stay.
+    """The rows of docs without near copies: of each component one row, of its least id (a null id counts as greater than any). All columns stay.
 
-    Rows with a null id stay, unless a component has a row with an id.
+    Rows are told apart by a key of their own, not by their ids: unlike texts
+    under one id or under null ids all stay, and so does each row without a
+    shingle.
     """
-    verdict = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    lost_nulls = verdict.filter("doc_id is null and not kept").isEmpty()
-    some = docs.filter(F.col(f"`{id_col}`").isNotNull()).join(kept, F.col(f"`{id_col}`") == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    nulls = docs.filter(F.col(f"`{id_col}`").isNull())
-    return some.unionByName(nulls if lost_nulls else nulls.limit(0))
+    key = "_row"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")  # written, as a key must be the same each time it is read
+    verdict = _judged(keyed, F.col(f"`{key}`"), id_col=id_col, text_col=text_col, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"]
+    chosen = verdict.filter("node is not null").groupBy("label").agg(first.alias("_kept")).select("_kept")
+    kept = chosen.union(verdict.filter("node is null").select("row"))
+    return keyed.join(kept, F.col(f"`{key}`") == F.col("_kept"), "left_semi").drop(key)

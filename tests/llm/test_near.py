@@ -77,6 +77,26 @@ def test_one_of_each_group_stays(spark, rows):
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == sorted(groups)
 
 
+def test_no_text_is_lost_with_its_id(spark, rows):
+    """Null ids and ids of several texts: one row of each component stays, told by the texts."""
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _row int").repartition(3)
+    out = minhash.without_near_duplicates(docs)
+    low = lambda d: (d is None, d or 0)
+    want = []
+    for i, (d, t) in enumerate(rows):
+        pairs = [(plain_set(t), plain_set(u), e) for e, u in rows] if d is None or [r[0] for r in rows].count(d) > 1 else []
+        if pairs and plain_set(t):
+            alike = [low(e) for a, b, e in pairs if b and 100 * len(a & b) >= 85 * len(a | b)]
+            if low(d) == min(alike):
+                want.append((str(d), tuple(sorted(plain_set(t)))))
+    got = [(str(r["doc_id"]), tuple(sorted(plain_set(r["text"])))) for r in out.collect() if r["doc_id"] is None or [x[0] for x in rows].count(r["doc_id"]) > 1]
+    assert out.columns == docs.columns and sorted(got) == sorted(set(want)) and ("None", (("only", "here", "and", "null", "of"), ("here", "and", "null", "of", "id"))) != got
+
+    few = [(None, "one two three four five six"), (None, "only here without any id at all"), (None, "only here without any id at all"), (1, "one two three four five six"), (4, "seven eight nine ten eleven twelve"), (4, "one two three four five six"), (6, "red orange yellow green blue"), (6, "cold warm hot mild cool"), (7, ""), (None, None)]
+    left = minhash.without_near_duplicates(spark.createDataFrame(few, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([few[1], few[3], few[4], few[6], few[7], few[8], few[9]], key=str)
+
+
 def test_members_that_only_their_neighbours_link(spark):
     """A chain in which most members are far from the bucket's centre."""
     rng = random.Random(2)
