@@ -9,7 +9,6 @@ from depthloom.llm.common import materialise, words
 
 K = 4
 S = 2
-SIZE = 64
 #: Rows that a range of ids aims at, and ranges whose ends are quantiles; ranges are cut further to that aim.
 ROWS_A_RANGE = 2048
 QUANTILES = 128
@@ -38,21 +37,15 @@ def with_anchors(docs: DataFrame, text: Column, name: str, k: int = K, s: int =
     return out.select(*own, F.when(F.size("_sr") >= m, chosen).otherwise(F.col("_whole")).alias(name))
 
 
-def sketch(anchors: Column, size: int = SIZE) -> Column:
-    """The least hashes of a text's distinct anchors, in order: all of them for a short text."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: a["hash"]))), 1, size)
+def printed(anchors: str) -> Column:
+    """The SHA-256 of all anchors of the named column, places and hashes, in order; empty without any."""
+    listed = F.concat_ws("|", *[F.array_join(F.col(f"{anchors}.{x}").cast("array<string>"), " ") for x in ("at", "hash")])
+    return F.when(F.size(anchors) == 0, "").otherwise(F.sha2(listed, 256))
 
 
-def printed(sketched: Column) -> Column:
-    """A sketch as a string: 8 hexadecimal digits for each hash."""
-    return F.array_join(F.transform(sketched, lambda x: F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8))), "")
-
-
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """Jaccard similarity of the two texts' anchors, estimated on the least of both; two texts without words are alike, one is like no other."""
-    both = F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, size)
-    shared = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(shared / F.size(F.array_distinct(both)).cast("double"))
+def likeness(a: str, b: str, shared: str) -> Column:
+    """Jaccard similarity of two texts from the named columns: their distinct anchors, and how many they share; two texts without words are alike, one is like no other."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.col(shared) / (F.size(a) + F.size(b) - F.col(shared)).cast("double"))
 
 
 def by_ranges(docs: DataFrame, key: str, rows: int = ROWS_A_RANGE, quantiles: int = QUANTILES) -> Column:
@@ -97,12 +90,14 @@ def with_next(docs: DataFrame, key: str, value: Column, tie: str) -> DataFrame:
     return placed.join(firsts, F.col("_range") == F.col("_for"), "left").select(*own, F.when(F.col("_ends"), F.col("_first")).otherwise(F.col("_next")).alias("_next"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text: the last third (rounded down, in code points) is replaced
     by the first as many of the next document by descending id, or all it has;
-    after the last comes the first. Equal texts have equal fingerprints.
+    after the last comes the first. A fingerprint is a digest of all anchors of
+    a text and their places, so equal texts have equal ones. near_edited and
+    near_next compare the sets of all anchors, wherever they stand.
 
     A null text counts as empty: no anchors, fingerprint ''. Null ids come
     after all others; rows of one id follow one another by descending text;
@@ -115,7 +110,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.char_length("_text")
     third = F.floor(n / 3).cast("int")
     follows = follows.select("doc_id", "_text", "_next", n.cast("long").alias("n_chars"), F.concat(F.substring("_text", F.lit(1), n - third), F.substring("_next", F.lit(1), third)).alias("_edited"))
-    out = with_anchors(follows, F.col("_text"), "_a").withColumn("_a", sketch(F.col("_a"), size))
-    out = with_anchors(out, F.col("_edited"), "_b").withColumn("_b", sketch(F.col("_b"), size))
-    out = with_anchors(out, F.col("_next"), "_c").withColumn("_c", sketch(F.col("_c"), size))
-    return out.select("doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), printed(F.col("_a")).alias("fingerprint"), printed(F.col("_b")).alias("edited_fingerprint"), likeness(F.col("_a"), F.col("_b"), size).alias("near_edited"), likeness(F.col("_a"), F.col("_c"), size).alias("near_next"))
+    out = follows
+    for source, name in (("_text", "_a"), ("_edited", "_b"), ("_next", "_c")):
+        own = out.columns
+        print_ = [] if name == "_c" else [printed(name).alias(f"{name}_print")]
+        out = with_anchors(out, F.col(source), name).select(*own, *print_, F.array_distinct(F.col(f"{name}.hash")).alias(name))
+    out = out.select("*", *[F.size(F.array_intersect("_a", x)).alias(f"{x}_shared") for x in ("_b", "_c")])
+    return out.select("doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), F.col("_a_print").alias("fingerprint"), F.col("_b_print").alias("edited_fingerprint"), likeness("_a", "_b", "_b_shared").alias("near_edited"), likeness("_a", "_c", "_c_shared").alias("near_next"))

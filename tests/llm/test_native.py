@@ -147,6 +147,20 @@ def test_anchors_are_context_free(spark):
     assert all(any(y["hash"] == x["hash"] and y["at"] == x["at"] + 4 for y in b) for x in a)
 
 
+def test_long_texts_are_compared_whole(spark):
+    rng = random.Random(6)
+    texts = [["%s%d" % (x, rng.randint(0, 10**6)) for _ in range(5000)] for x in "abcd"]
+    texts[1][700:800] = texts[2][4000:4100]  # a passage that two neighbours share
+    texts[3] = texts[0][:2500] + ["other"] + texts[0][2501:]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = {r["doc_id"]: {x["hash"] for x in r["x"]} for r in fingerprints.with_anchors(df, F.col("text"), "x").collect()}
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(df).collect()}
+    for i, r in got.items():
+        after = sets[(i - 1) % 4]
+        assert abs(r["near_next"] - len(sets[i] & after) / len(sets[i] | after)) < 1e-12
+    assert got[2]["near_next"] > 0.005 and got[0]["near_next"] > 0.99 and got[0]["fingerprint"] != got[3]["fingerprint"]
+
+
 def test_ranges_hold_ties_and_sparse_ids(spark):
     ids = [5] * 40 + [i * i * 1000 for i in range(300)] + [None]
     df = spark.createDataFrame([(i, f"t{j}") for j, i in enumerate(ids)], "k long, t string").withColumn("k", F.coalesce("k", F.lit(-(1 << 63)).cast("bigint"))).repartition(3)
