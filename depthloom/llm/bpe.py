@@ -18,6 +18,9 @@ import regex
 #: Fixed value: the public pattern that cuts a text into pieces before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space at a stretch that the faster library's pattern engine is not asked to cut; it gives up on a million.
+LONG_GAP = 200_000
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in the vocabulary's file: printable ones stand for themselves, the rest follow from 256."""
@@ -135,62 +138,82 @@ def merger(name: str) -> Merger:
 
 
 class Encoder:
-    """Token ids by the tokenizers library, kept per word as little-endian unsigned ids."""
+    """Token ids of whole texts as the tokenizers library gives them, as little-endian unsigned ids.
+
+    Plain byte-level vocabularies go through tiktoken, which merges the pair
+    whose joint bytes rank lowest. That is the library's own order where every
+    merge has a token of its own and every such token, taken alone, merges
+    into itself: two neighbours whose bytes join to a token are then that
+    token's own pair. Both are looked at when a vocabulary is loaded; one that
+    fails goes through the library.
+    """
 
-    def __init__(self, path: str, cached: int = 800_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         import numpy as np
 
         self.np, self.tokenizer = np, Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
-        space = next(letter for letter, byte in byte_letters().items() if byte == 32)
-        self.spaced[[i for token, i in vocab.items() if token.startswith(space)]] = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.cached = cached
-        self.line_end = self.whole("\n")
+        highest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.kind = np.dtype("<u2" if highest < 1 << 16 else "<u4")
+        self.fast = self.same = self.marker = None
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if plain_bytes(spec):
+            self.prepare(spec, Merger(path, 8))
+
+    def prepare(self, spec: dict, merger: Merger) -> None:
+        import tiktoken
+
+        vocab, letters = spec["model"]["vocab"], byte_letters()
+        raw = lambda token: bytes(letters[c] for c in token)
+        same = [0] * 256
+        for letter, byte in letters.items():
+            same[byte] = vocab[letter]
+        ranks = {bytes([b]): b for b in range(256)}
+        for m in spec["model"]["merges"]:
+            token = "".join(m) if isinstance(m, list) else m.replace(" ", "", 1)
+            if raw(token) in ranks or merger.symbols_left(raw(token)) != 1:
+                return
+            ranks[raw(token)] = len(same)
+            same.append(vocab[token])
+        self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.same = self.np.array(same, self.kind)
+        self.ids = {x["content"]: self.np.array([x["id"]], self.kind).tobytes() for x in spec.get("added_tokens", [])}
+        if merger.special:
+            self.marker = regex.compile(f"({merger.special.pattern})").split
 
     def whole(self, text: str) -> bytes:
+        """By the library."""
         return self.np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words that follow a space, all in one call; a token that begins with the space begins a word."""
-        words = list(words)
-        if not words:
-            return
-        ids = self.np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        starts = self.np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(words):  # a marker string beside a space, or the like
-            self.later.update((w, self.whole(" " + w)) for w in words)
-            return
-        data, width = ids.tobytes(), self.kind.itemsize
-        ends = [*(starts[1:] * width).tolist(), len(data)]
-        self.later.update(zip(words, (data[a:b] for a, b in zip((starts * width).tolist(), ends))))
+    def plain(self, text: str) -> bytes:
+        """Of a text without marker strings."""
+        return self.same[self.np.array(self.fast(text), self.np.int64)].tobytes()
+
+    def one(self, text: str) -> bytes:
+        if self.fast is None or len(text) > LONG_GAP and regex.search(rf"\s{{{LONG_GAP}}}", text):
+            return self.whole(text)
+        try:
+            if self.marker and any(m in text for m in self.ids):
+                return b"".join(self.ids.get(part) or self.plain(part) for part in self.marker(text))
+            return self.plain(text)
+        except BaseException as error:  # its pattern engine has given up
+            if type(error).__name__ != "PanicException":
+                raise
+            return self.whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, exactly as the library gives them for the whole text."""
-        cut = [lines_of_words(t) if t else None for t in texts]
-        split = [[line.split(" ") for line in lines] if lines else None for lines in cut]
-        if len(self.later) >= self.cached:
-            self.later.clear()
-        if len(self.first) >= self.cached:
-            self.first.clear()
-        lacking: set[str] = set()
-        for lines in split:
-            for line in lines or ():
-                lacking.update(line[1:])
-                if line[0] not in self.first:
-                    self.first[line[0]] = self.whole(line[0])
-        lacking.difference_update(self.later.keys())
-        self.learn(lacking)
-        later, first, end = self.later.__getitem__, self.first, self.line_end
-        return [
-            end.join(first[line[0]] + b"".join(map(later, line[1:])) for line in lines) if lines else self.whole(text) if text else b""
-            for text, lines in zip(texts, split)
-        ]
+        """The ids of each text, exactly as the library gives them."""
+        return [self.one(t) if t else b"" for t in texts]
+
+
+def plain_bytes(spec: dict) -> bool:
+    """Whether a vocabulary cuts by PATTERN, merges bytes and does nothing else."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    usual = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+    markers = all(not any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for x in spec.get("added_tokens", []))
+    return usual and markers and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
 
 
 @lru_cache(maxsize=4)

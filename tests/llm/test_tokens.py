@@ -28,13 +28,22 @@ def library():
 
 
 def test_counts_and_ids_equal_the_library(library):
-    merges, ids = bpe.merger(NAME), bpe.Encoder(public_tokenizers.path(NAME), cached=3)
+    merges, ids = bpe.merger(NAME), bpe.Encoder(public_tokenizers.path(NAME))
     for text in TRICKY:
         assert merges.count(text) == len(library(text)), repr(text)
     for text, got in zip(TRICKY, ids.encode(TRICKY)):
         assert np.frombuffer(got, ids.kind).tolist() == library(text), repr(text)
 
 
+def test_encoders_that_must_go_through_the_library(library):
+    fast = bpe.encoder(NAME)
+    assert fast.fast is not None
+    for text in (" " * 250_000 + "x", "a" * 200_000, "é" * 30_000, "\n" * 250_000):
+        assert np.frombuffer(fast.one(text), fast.kind).tolist() == library(text)
+    other = bpe.encoder("word_bpe_49k.json")
+    assert other.fast is None and other.one("Two words") == other.whole("Two words")
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([*"ab'sé \n\t\r1#<|>", "\u00a0", "<|endoftext|>"]), max_size=30).map("".join))
 def test_any_text_equals_the_library(library, text):
