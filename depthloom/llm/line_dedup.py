@@ -30,7 +30,7 @@ def boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: f
 
 
 def line_dedup(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source") -> DataFrame:
-    """All rows and columns of docs, the text without its site's boilerplate lines, and n_dropped.
+    """All rows and columns of docs, the text without its site's boilerplate lines, and n_dropped (n_dropped_ where docs has a column of that name).
 
     A line is boilerplate for a site if at least `min_pages` of its pages hold
     it and their share of the site's pages exceeds `ratio`. Lines are what
@@ -63,8 +63,10 @@ def line_dedup(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES
     dropped = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size("_kept"))
     out = clean.select(*[F.col(f"c{i}") for i in range(len(names)) if f"c{i}" != text], new_text.alias(text), dropped.alias("_n_dropped"))
     put = {text_col: F.col(text)} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in names else {})
-    extra = [] if "n_dropped" in names else [F.col("_n_dropped").alias("n_dropped")]
-    return out.select(*[put.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)], *extra)
+    count = "n_dropped"
+    while count in {c.lower() for c in names}:
+        count += "_"
+    return out.select(*[put.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)], F.col("_n_dropped").alias(count))
 
 
 SQL = f"""

@@ -178,10 +178,10 @@ def margin(spark, rows_, dim):
 
 def test_mixing_margins_and_sql(spark, docs, rows):
     cells = docs.select("lang", "source", mixing.topic_of(F.coalesce("text", F.lit(""))).alias("topic"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n")).groupBy("lang", "source", "topic").agg(F.sum("n").alias("_t"))
-    fitted = mixing.fitted_cells(cells, {"source": {"s1": 2.0, "s2": 1.0}, "lang": 0.5}, sweeps=12).collect()
-    by = Counter()
+    fitted = mixing.fitted_cells(cells, {"source": {"s1": 2.0, "s2": 1.0}, "lang": 0.5}, 0.02, sweeps=12).collect()
+    by, total = Counter(), sum(r["_t"] for r in fitted)
     for r in fitted:
-        by[r["source"]] += r["_w"]
+        by[r["source"]] += r["_p"] * r["_t"] / (0.02 * total)
     assert abs(by["s1"] - 2 / 3) < 1e-3 and abs(by["s2"] - 1 / 3) < 1e-3 and by[None] == 0
     out = mixing.mix(docs)
     assert out.count() == len(rows) and out.columns[: len(docs.columns)] == docs.columns
@@ -189,6 +189,34 @@ def test_mixing_margins_and_sql(spark, docs, rows):
     assert same == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_asks_no_cell_for_more_than_it_has(spark):
+    """A scarce topic gives all its tokens, the others the rest, and the sample comes near the targets."""
+    rng = random.Random(4)
+    rows = [(i, "License " * 3 if i % 40 == 0 else "a | b " * 5 if i % 3 else "plain words here " * 4, "en" if i % 5 else "de", f"s{i % 4}") for i in range(6000)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, lang string, source string, mix_kept boolean")
+    out = mixing.mix(docs.drop("mix_kept")).select("lang", "source", "mix_topic", "mix_tokens", "mix_probability", "mix_kept").toPandas()
+    total = out["mix_tokens"].sum()
+    assert out["mix_probability"].between(0, 1).all() and (out.loc[out["mix_topic"] == "licence", "mix_probability"] == 1).all()
+    for dim, column in (("source", "source"), ("lang", "lang"), ("topic", "mix_topic")):
+        tokens = out.groupby(column)["mix_tokens"].sum()
+        most = tokens / (mixing.RATE * total)
+        goal = tokens ** mixing.POWERS[dim] / (tokens ** mixing.POWERS[dim]).sum()
+        sure = np.minimum(goal, most)
+        goal = sure + (1 - sure.sum()) * (most - sure) / (most - sure).sum()
+        for weight, error in ((out["mix_probability"], 0.005), (out["mix_kept"], 0.03)):  # as calibrated, and as sampled
+            got = (weight * out["mix_tokens"]).groupby(out[column]).sum() / (mixing.RATE * total)
+            assert (got - goal).abs().max() < error
+    left = mixing.mixed(docs)
+    assert left.columns == docs.columns and left.count() == out["mix_kept"].sum() and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_line_dedup_beside_a_column_of_its_own_name(spark):
+    docs = spark.createDataFrame([(i, "the same head\nown %d" % i, "s", 77) for i in range(5)], "doc_id long, text string, source string, n_dropped int")
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_dropped_"] and {(r["text"], r["n_dropped"], r["n_dropped_"]) for r in out.collect()} == {("own %d" % i, 77, 1) for i in range(5)}
+
+
 @pytest.mark.parametrize("name", ["mix", "lines"])
 def test_sql_agrees(spark, docs, tmp_path, name):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
