@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from depthloom.llm import fingerprints, line_dedup, mixing, robust_quality
@@ -138,6 +139,52 @@ def test_fingerprints(docs, rows):
     assert one[0]["near_next"] == 1.0
 
 
+def plain_print(text):
+    """The fingerprint and the places of a text, by loops."""
+    chain = lambda *xs: __import__("functools").reduce(lambda seed, x: xxhash.xxh64_intdigest(x if isinstance(x, bytes) else x.to_bytes(8, "little"), seed), xs, 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    w = WORD.findall(text or "")
+    if not w:
+        return "", set()
+    if len(w) < 4:
+        anchors = [(0, chain(" ".join(w).encode()))]
+    else:
+        hashes = [chain(x.encode()) for x in w]
+        runs = [chain(*hashes[i : i + 2]) for i in range(len(w) - 1)]
+        anchors = []
+        for i in range(len(w) - 3):
+            least = min(map(signed, runs[i : i + 3]))
+            if least in (signed(runs[i]), signed(runs[i + 2])):
+                anchors.append((i, chain(runs[i], runs[i + 2])))
+        anchors = anchors or [(0, chain(*runs))]
+    listed = " ".join(str(a) for a, _ in anchors) + "|" + " ".join(str(signed(h)) for _, h in anchors)
+    pairs = {chain(h, (b - a).to_bytes(4, "little"), g) for (a, h), (b, g) in zip(anchors, anchors[1:])}
+    return hashlib.sha256(listed.encode()).hexdigest(), pairs or {anchors[0][1]}
+
+
+def test_fingerprints_equal_loops(docs, rows):
+    got = fingerprints.fingerprints(docs).collect()
+    order = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(1 << 63), (r[1] or "").encode()), reverse=True)
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    want = []
+    for r, after in zip(order, order[1:] + order[:1]):
+        text, other = r[1] or "", after[1] or ""
+        third = len(text) // 3
+        (mine, a), (theirs, b), (_, c) = map(plain_print, (text, text[: len(text) - third] + other[:third], other))
+        want.append((r[0], mine, theirs, round(like(a, b), 9), round(like(a, c), 9)))
+    assert sorted([(r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got], key=str) == sorted(want, key=str)
+
+
+def test_next_rows_by_ranges_of_ranges(spark, monkeypatch):
+    """Few rows a range and a window, so that ranges are ordered by ranges of their own."""
+    monkeypatch.setattr(fingerprints, "ROWS_A_WINDOW", 6)
+    monkeypatch.setattr(fingerprints, "by_ranges", lambda df, key: F.floor(F.col(key) / 7).cast("bigint"))
+    ids = sorted({i * i for i in range(60)} | set(range(2000, 2100)))
+    df = spark.createDataFrame([(i,) for i in ids], "k long").repartition(3)
+    got = {r["k"]: r["_next"] for r in fingerprints.with_next(df, "k", F.col("k"), "k").collect()}
+    assert got == {b: a for a, b in zip(ids, ids[1:])} | {ids[0]: ids[-1]}
+
+
 def test_anchors_are_context_free(spark):
     rng = random.Random(3)
     w = ["v%d" % rng.randint(0, 500) for _ in range(80)]
@@ -153,7 +200,7 @@ def test_long_texts_are_compared_whole(spark):
     texts[1][700:800] = texts[2][4000:4100]  # a passage that two neighbours share
     texts[3] = texts[0][:2500] + ["other"] + texts[0][2501:]
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    sets = {r["doc_id"]: {x["hash"] for x in r["x"]} for r in fingerprints.with_anchors(df, F.col("text"), "x").collect()}
+    sets = {i: plain_print(" ".join(t))[1] for i, t in enumerate(texts)}
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(df).collect()}
     for i, r in got.items():
         after = sets[(i - 1) % 4]
