@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from depthloom.llm.common import held_out
 from depthloom.llm.samples import labelled_sample
 
-#: Labelled documents of each label to learn from, at most, and chunks of each that training looks at.
+#: Labelled documents of each label to learn from, at most; training reads them whole.
 SAMPLE = 1000
-TRAIN_CHUNKS = 8
 FILTERS = 16
 HIDDEN = 12
 WIDTH = 8
@@ -51,9 +50,13 @@ def signs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(n, bool)
     for lag in range(1, LAG + 1):
         again[lag:] |= eight[lag:] == eight[:-lag]
+    # a text repeats nothing of the one before it: the first LAG places look no further back than its begin
+    head = first[:-1, None] * BLOCK + np.arange(LAG)
+    own, marks = eight[head], np.zeros(head.shape, bool)
+    for lag in range(1, LAG):
+        marks[:, lag:] |= own[:, lag:] == own[:, :-lag]
+    again[head] = marks
     again &= data[:n] != 0  # padding repeats nothing
-    for begin in first[:-1].tolist():  # nor does a text repeat the one before it
-        again[begin * BLOCK : begin * BLOCK + 1] = False
     out[again] += 256
     return out, first
 
@@ -170,9 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, mos
     """Learn from at most `most` labelled documents of each label, none of whose crc32(id as text) mod `parts` is `part`.
 
     The two labels are weighted by their shares among all rows that may be
-    learnt from, so that scores are calibrated. Of a document training sees
-    TRAIN_CHUNKS chunks spread over it, cut on the executors; the driver holds
-    at most 2 * most * TRAIN_CHUNKS chunks.
+    learnt from, so that scores are calibrated. Training sees all chunks of a
+    document, cut on the executors; the driver holds those of at most 2 * most
+    documents.
     """
     sample = labelled_sample(docs, labels, label, parts, part, most, id_col, text_col)
     size = CHUNK_BLOCKS * BLOCK
@@ -183,11 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, mos
             for text in batch.column(2).to_pylist():
                 x, first = signs([text.encode()])
                 begin, end, _ = chunk_bounds(first)
-                picked = np.unique(np.linspace(0, len(begin) - 1, min(TRAIN_CHUNKS, len(begin))).round().astype(int))
-                own = np.zeros((len(picked), size), "<i2")
-                for k, c in enumerate(picked):
-                    piece = x[begin[c] * BLOCK : end[c] * BLOCK]
-                    own[k, : len(piece)] = piece
+                own = np.zeros((len(begin), size), "<i2")
+                for k, (a, b) in enumerate(zip((begin * BLOCK).tolist(), (end * BLOCK).tolist())):
+                    own[k, : b - a] = x[a:b]
                 rows.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "label", "chunks"])
 

@@ -6,6 +6,8 @@ import random
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,18 @@ def test_network_of_whole_texts_equals_plain_loops():
     assert np.allclose(got, [net.probabilities([t])[0] for t in texts], atol=1e-6)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab \n", max_size=90).map(str.encode), min_size=1, max_size=6))
+def test_scores_do_not_depend_on_neighbours(texts):
+    rng = np.random.default_rng(5)
+    f, h = quality_cnn.FILTERS, quality_cnn.HIDDEN
+    net = quality_cnn.Network(rng.normal(size=(8, 512, f)), rng.normal(size=f), rng.normal(size=(2 * f, h)), rng.normal(size=h), rng.normal(size=h), 0.1)
+    x, first = quality_cnn.signs(texts)
+    for i, text in enumerate(texts):
+        assert (x[first[i] * quality_cnn.BLOCK : first[i + 1] * quality_cnn.BLOCK] == quality_cnn.signs([text])[0]).all()
+    assert np.allclose(net.probabilities(texts), [net.probabilities([t])[0] for t in texts], rtol=1e-6)
+
+
 def test_quality_on_held_out_documents(frames):
     docs, labels = frames
     rows = quality_cnn.quality(docs, labels).collect()
