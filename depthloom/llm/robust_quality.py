@@ -13,9 +13,13 @@ from depthloom.llm.common import SPACE, materialise, words
 DIMS = {"z_words": 0.8, "z_length": 0.25, "z_symbols": 0.05, "z_lines": 0.08, "z_repeats": 0.12}
 SUBSET = 0.75
 STEPS = 4
+#: Starts per group: medians and quartiles, then the rows of one id in PART each time.
+STARTS = 3
+PART = 4
 CONFIDENCE = 0.9999
 MIN_GROUP = 100
 RUN = 8
+KEYS = ("_lang", "_source", "_start")
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -96,10 +100,20 @@ def _estimate(subset: DataFrame, scale: float) -> DataFrame:
     p = len(dims)
     found = [F.avg(d).alias(f"m_{i}") for i, d in enumerate(dims)]
     found += [(F.covar_pop(dims[i], dims[j]) * scale + (floors[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i, p)]
-    out = subset.groupBy("_lang", "_source").agg(*found)
+    out = subset.groupBy(*KEYS).agg(*found)
     for name, column in _cholesky(dims):
         out = out.withColumn(name, column)
-    return out.select("_lang", "_source", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return out.select(*KEYS, *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+
+
+def _least(groups: DataFrame) -> DataFrame:
+    """Of each group the start whose scatter has the least determinant."""
+    spread = F.lit(0.0)
+    for i in range(len(DIMS)):
+        spread = spread + F.log(f"l_{i}_{i}")
+    rest = [c for c in groups.columns if c not in KEYS]
+    best = groups.groupBy("_lang", "_source").agg(F.min(F.struct(spread.alias("d"), "_start", *rest)).alias("_b"))
+    return best.select("_lang", "_source", *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
 def _distance(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
@@ -122,9 +136,11 @@ def robust_quality(docs: DataFrame, subset: float = SUBSET, steps: int = STEPS,
 
     base_failed: under 20 words, or over 30 % of them in 8-word windows that
     the text holds twice or more. Of the rest, each language and source gets
-    its centre and scatter by minimum covariance determinant: from medians
-    and quartiles, concentration steps re-estimate on the `subset` share of
-    rows that lie nearest. Rows beyond the chi-square quantile at
+    its centre and scatter by minimum covariance determinant: from several
+    starts (medians and quartiles, and shares of the rows by a hash of their
+    ids), concentration steps re-estimate on the `subset` share of rows that
+    lie nearest, and the start that ends with the least determinant counts.
+    Rows beyond the chi-square quantile at
     `confidence` are rejected. A least spread in each statistic keeps groups
     whose rows are alike from rejecting their first exception.
 
@@ -156,14 +172,21 @@ def robust_quality(docs: DataFrame, subset: float = SUBSET, steps: int = STEPS,
     mid = good.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q_{i}") for i, d in enumerate(dims)])
     mid = mid.filter(F.col("_n") >= min_group)
     spread = lambda i: F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(DIMS[dims[i]]))
-    groups = materialise(mid.select("_lang", "_source", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)]), "start")
+    first = mid.select("_lang", "_source", F.lit(0).alias("_start"), *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)])
+    part = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % PART).cast("int")
+    large = mid.select(F.col("_lang").alias("_ml"), F.col("_source").alias("_ms"))
+    shares = good.withColumn("_start", part).filter(F.col("_start").between(1, STARTS - 1))
+    others = _estimate(shares, 1.0).join(large, (F.col("_lang") == F.col("_ml")) & (F.col("_source") == F.col("_ms")), "left_semi")
+    groups = materialise(first.union(others), "start")
     # the scatter of the nearest rows is too small by a known factor
     scale = subset / chi2_cdf(chi2_quantile(subset, p), p + 2)
     for _ in range(steps):
         near = _distance(good, groups)
-        edge = near.groupBy(F.col("_lang").alias("_el"), F.col("_source").alias("_es")).agg(F.percentile_approx("_d2", subset, 1000).alias("_edge"))
-        inside = near.join(edge, (F.col("_lang") == F.col("_el")) & (F.col("_source") == F.col("_es"))).filter(F.col("_d2") <= F.col("_edge"))
+        edge = near.groupBy(*[F.col(k).alias(f"_e{k}") for k in KEYS]).agg(F.percentile_approx("_d2", subset, 1000).alias("_edge"))
+        edge = materialise(edge, "edge")  # its size is then known
+        inside = near.join(edge, (F.col("_lang") == F.col("_e_lang")) & (F.col("_source") == F.col("_e_source")) & (F.col("_start") == F.col("_e_start"))).filter(F.col("_d2") <= F.col("_edge"))
         groups = materialise(_estimate(inside, scale), "step")
+    groups = materialise(_least(groups), "least")
     out = _distance(placed(rows), groups, "left")
     far = F.coalesce(F.col("_d2") > chi2_quantile(confidence, p), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("_d2").alias("distance2"), (~F.col("base_failed") & ~far).alias("kept"))
