@@ -38,6 +38,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Write a frame to the shared folder in buckets by `key` and read it back: joins by that key then leave it where it lies."""
+    spark = df.sparkSession
+    name = f"depthloom_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).saveAsTable(name)
+    atexit.register(discard, spark, path)
+    return spark.table(name)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that materialise() wrote, if the session still lives."""
     try:

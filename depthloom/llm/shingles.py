@@ -27,6 +27,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def permuted(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Another permutation of a set's hashes, ascending."""
+    return np.sort(mix(hashes ^ mix(np.array([salt], np.uint64))))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     filled, step = 1, base
@@ -105,8 +110,8 @@ def shingle_sets(texts: list[bytes], width: int, words: Words) -> list[np.ndarra
 class Sketcher:
     """One-permutation hashing into `bins` (a power of two): the least hash in each; an empty bin takes that of a bin drawn by a hash of its own number and the attempt."""
 
-    def __init__(self, bins: int, bands: int):
-        self.bins, self.bands, self.rows = bins, bands, bins // bands
+    def __init__(self, bins: int, bands: int, rows: int = 0):
+        self.bins, self.bands, self.rows = bins, bands, rows or bins // bands
         self.edges = np.arange(bins, dtype=np.uint64) << U(64 - bins.bit_length() + 1)
         self.shift = U(64 - bins.bit_length() + 1)
         draws = np.random.default_rng(77)
