@@ -31,13 +31,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 or more of its shingles of five words."""
     importable(spark)
-    return minhash.without_near_duplicates(docs, percent=80, bands=32, agree=80)
+    return minhash.without_near_duplicates(docs, percent=80, bands=32)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents whose tokens approach the target weights of sources, languages and topics."""
     importable(spark)
-    return mixing.mix(docs).filter("mix_kept").select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
