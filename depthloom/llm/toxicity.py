@@ -27,7 +27,7 @@ LABEL_SHARE = 0.75
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WINDOW = 12
 WINDOWS_A_DOC = 6
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 THRESHOLD = 0.7
 EDGES = ".,!?|#*$%&()[]{}:;\"'`~<>-_+=/\\"
 
@@ -38,6 +38,10 @@ def features(word: str) -> list[str]:
     return [f"={w}", *(f"{k}{w[:k]}" for k in PREFIXES if len(w) > k)] if len(w) > 1 else []
 
 
+def weight(weights: dict[str, float], word: str) -> float:
+    return sum(w for f in features(word) if (w := weights.get(f)) is not None)
+
+
 def summary(marginals: list[float], n: int) -> tuple[float, float, float]:
     """What a document's score rests on: its likeliest toxic token, the expected number of them, and their share."""
     mass = sum(marginals)
@@ -56,15 +60,12 @@ class Field:
         big, small = (a + d + root) / 2, (a + d - root) / 2
         self.ratio = small / big
         self.lead = [(a - small) / (big - small), b / (big - small), c / (big - small), (d - small) / (big - small)]
-        self.words = Bounded(self.weight, CACHED_WORDS)
+        # the cache knows the weights, not the field: a cycle would keep every task's cache until a late collection
+        self.words = Bounded(lambda word: weight(weights, word), CACHED_WORDS)
 
     def __reduce__(self):
         return Field, (self.weights, self.bias, self.steps, self.start, self.logistic)
 
-    def weight(self, word: str) -> float:
-        get = self.weights.get
-        return sum(w for f in features(word) if (w := get(f)) is not None)
-
     def run(self, n: int) -> tuple[float, float, float, float]:
         """The product of n tokens without features, up to a factor."""
         p, q, r, s = self.lead
@@ -183,8 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, mos
 
     Words and prefixes that occur mostly in toxic documents are the features.
     Of these the sure ones mark tokens: toxic in toxic documents. The field is
-    trained on windows of tokens around features, the hard clean ones among
-    them; then a logistic on the sample's marginals. With no toxic sample,
+    trained on windows of WINDOW tokens around features, at most WINDOWS_A_DOC
+    of a document and spread evenly over it, the hard clean ones among them; then a logistic on the sample's marginals. With no toxic sample,
     every score is low. Counting and cutting of windows run on the executors;
     what reaches the driver is bounded by the sample.
     """

@@ -51,7 +51,7 @@ def test_marginals_equal_enumeration():
         places, got, n = field.tagged(" ".join(words))
         total, by = 0.0, [0.0] * n
         for tags in itertools.product((0, 1), repeat=n):
-            s = field.start * tags[0] + sum(y * (field.bias + field.weight(w)) for y, w in zip(tags, words)) + sum(field.steps[a][b] for a, b in zip(tags, tags[1:]))
+            s = field.start * tags[0] + sum(y * (field.bias + toxicity.weight(field.weights, w)) for y, w in zip(tags, words)) + sum(field.steps[a][b] for a, b in zip(tags, tags[1:]))
             total += math.exp(s)
             for i, y in enumerate(tags):
                 by[i] += y * math.exp(s)
