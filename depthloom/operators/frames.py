@@ -16,10 +16,10 @@ INT = r"^\s*[+-]?\d+(_\d+)*\s*$"
 
 
 def listed(files: DataFrame, any_case: bool = True) -> DataFrame:
-    """file_name with frame_id (null where the name is not a number) for the PNG files of a listing."""
+    """file_name with frame_id (null where the name is no number of 32 bits) for the PNG files of a listing."""
     name = F.lower("file_name") if any_case else F.col("file_name")
     digits = F.regexp_extract("file_name", r"(?i)^([0-9]+)\.png$" if any_case else r"^([0-9]+)\.png$", 1)
-    return files.filter(F.endswith(name, F.lit(".png"))).select("file_name", F.when(digits != "", digits.cast("int")).alias("frame_id"))
+    return files.filter(F.endswith(name, F.lit(".png"))).select("file_name", F.when(digits != "", digits.try_cast("int")).alias("frame_id"))
 
 
 def numbered(ids: DataFrame, column: str = "frame_id") -> DataFrame:
@@ -91,20 +91,25 @@ def to_int(text: Column) -> Column:
     return F.when(is_int(text), F.regexp_replace(F.trim(text), "_", "").try_cast("int"))
 
 
+def empty(text: Column) -> Column:
+    """Null, or nothing but white space of any kind."""
+    return ~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"\S"))
+
+
 def parsed_odometry(rows: DataFrame, frame: str, floats: list[str], fx: str | None) -> DataFrame:
     """Rows (line_no and text cells) with `malformed`, `frame_id` and `fx_value`; blank rows go.
 
-    A row is malformed if its frame is no integer, one of `floats` no number,
+    A row is malformed if its frame is no integer of 32 bits, one of `floats` no number,
     or its fx neither blank nor a number; absent cells count as malformed.
     """
     cells = [frame, *floats, *([fx] if fx else [])]
     blank = F.lit(True)
     for c in cells:
-        blank = blank & (F.trim(F.coalesce(F.col(c), F.lit(""))) == "")
-    good = is_int(F.col(frame))
+        blank = blank & empty(F.col(c))
+    good = is_int(F.col(frame)) & to_int(F.col(frame)).isNotNull()
     for c in floats:
         good = good & is_float(F.col(c))
-    has_fx = F.trim(F.coalesce(F.col(fx), F.lit(""))) != "" if fx else F.lit(False)
+    has_fx = ~empty(F.col(fx)) if fx else F.lit(False)
     if fx:
         good = good & (~has_fx | is_float(F.col(fx)))
     out = rows.filter(~blank).withColumn("malformed", ~good)

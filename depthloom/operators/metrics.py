@@ -165,14 +165,14 @@ def judged(metrics: DataFrame, rules: AcceptanceRules = AcceptanceRules()) -> Da
     better = F.greatest(*change.values())
     foot = lambda c: F.when(F.col(f"before_{c}") == 0, F.raise_error(F.lit(f"{c} is zero"))).otherwise(F.abs(F.col(f"after_{c}") - F.col(f"before_{c}")) / F.col(f"before_{c}"))
     verdict = (
-        F.when(F.col("sequential_share") < rules.min_accepted_sequential_fraction, "too few sequential registrations passed the quality gates")
-        .when(worse != "", F.concat(F.lit("metrics got worse: "), worse))
-        .when(better < rules.min_relative_improvement, "no metric improved meaningfully")
-        .when(foot("footprint_x_m") > rules.max_footprint_change, f"footprint_x_m changed by more than {rules.max_footprint_change:.0%}")
-        .when(foot("footprint_z_m") > rules.max_footprint_change, f"footprint_z_m changed by more than {rules.max_footprint_change:.0%}")
-        .when(F.col("max_translation_m") > rules.max_translation_m, F.concat(F.lit("max translation correction "), fixed("max_translation_m", 2), F.lit(" m is too large")))
-        .when(F.col("max_rotation_deg") > rules.max_rotation_deg, F.concat(F.lit("max rotation correction "), fixed("max_rotation_deg", 1), F.lit(" deg is too large")))
-        .when(F.col("max_tilt_change_deg") > rules.max_tilt_change_deg, F.concat(F.lit("roll/pitch changed by "), fixed("max_tilt_change_deg", 1), F.lit(" deg")))
+        F.when(F.col("sequential_share") < rules.min_accepted_sequential_fraction, "sequential edges: too small a share accepted")
+        .when(worse != "", F.concat(F.lit("worse: "), worse))
+        .when(better < rules.min_relative_improvement, "no metric gains enough")
+        .when(foot("footprint_x_m") > rules.max_footprint_change, f"footprint_x_m off by over {rules.max_footprint_change:.0%}")
+        .when(foot("footprint_z_m") > rules.max_footprint_change, f"footprint_z_m off by over {rules.max_footprint_change:.0%}")
+        .when(F.col("max_translation_m") > rules.max_translation_m, F.concat(F.lit("poses moved by up to "), fixed("max_translation_m", 2), F.lit(" m")))
+        .when(F.col("max_rotation_deg") > rules.max_rotation_deg, F.concat(F.lit("poses turned by up to "), fixed("max_rotation_deg", 1), F.lit(" deg")))
+        .when(F.col("max_tilt_change_deg") > rules.max_tilt_change_deg, F.concat(F.lit("poses leant by up to "), fixed("max_tilt_change_deg", 1), F.lit(" deg")))
         .otherwise("accepted")
     )
     return metrics.select("*", *[c.alias(f"change_{n}") for n, c in change.items()], verdict.alias("verdict"))

@@ -147,7 +147,7 @@ def ablate(spark: SparkSession, path: str | Path, output: Path, options: CloudOp
     """The same frames with the supplied and with the corrected poses. Filtered camera-space points are decoded once and kept for all branches."""
     capture, base = reconstruct.prepare(spark, path, output, options)
     if len(capture.ids) < 3:
-        raise CaptureError("need at least 3 sampled frames for drift correction; lower --frame-step")
+        raise CaptureError("drift needs at least 3 frames; a smaller --frame-step gives more")
     pixels = capture.pixels(spark).cache()
     original = pose_matrices(spark, capture)
     camera = capture.camera(pixels).cache()

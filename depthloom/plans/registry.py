@@ -466,13 +466,13 @@ for _f, _sql in (
 SELECT CAST(count(*) AS BIGINT) AS attempted, CAST(count(*) FILTER (reason = 'ok') AS BIGINT) AS accepted, CAST(count(*) FILTER (reason <> 'ok') AS BIGINT) AS rejected, """ + ", ".join(f"round({a}({c}) FILTER (reason = 'ok'), 9) + 0.0D AS accepted_{n}_{o}" for a, n, c, o in (("avg", "mean", "fitness", "fitness"), ("median", "median", "fitness", "fitness"), ("avg", "mean", "inlier_rmse", "inlier_rmse_m"), ("median", "median", "inlier_rmse", "inlier_rmse_m"), ("median", "median", "translation_correction_m", "translation_correction_m"), ("median", "median", "rotation_correction_deg", "rotation_correction_deg"))) + " FROM judged"),
     (rejection_reasons, EDGES + ", " + JUDGED + "\nSELECT CASE split_part(reason, ' ', 1) WHEN 'fitness' THEN 'low ICP fitness' WHEN 'inlier' THEN 'high inlier RMSE' ELSE 'correction larger than allowed' END AS category, CAST(count(*) AS BIGINT) AS n FROM judged WHERE reason <> 'ok' GROUP BY 1"),
     (judge_correction, "c AS (SELECT event_id, " + ", ".join(f"((1.0D + (event_id%{3 + i})/100.0D) - 1.0D)/1.0D{'' if up else ' * -1'} AS c{i}" for i, up in enumerate(metrics.DIRECTIONS.values())) + """ FROM events)
-SELECT event_id, CASE WHEN (event_id%10)/10.0D+0.2D < 0.5D THEN 'too few sequential registrations passed the quality gates'
- WHEN least(c0,c1,c2,c3,c4) < -0.03D THEN 'metrics got worse: ' || concat_ws(', ', """ + ", ".join(f"CASE WHEN c{i} < -0.03D THEN '{n}' END" for i, n in enumerate(metrics.DIRECTIONS)) + """)
- WHEN greatest(c0,c1,c2,c3,c4) < 0.02D THEN 'no metric improved meaningfully'
- WHEN abs(10+(event_id%11)/10.0D-10.0D)/10.0D > 0.05D THEN 'footprint_x_m changed by more than 5%'
- WHEN (event_id%17)/20.0D > 0.5D THEN 'max translation correction ' || printf('%.2f', (event_id%17)/20.0D) || ' m is too large'
- WHEN (event_id%23)/4.0D > 5 THEN 'max rotation correction ' || printf('%.1f', (event_id%23)/4.0D) || ' deg is too large'
- WHEN (event_id%5)/3.0D > 1 THEN 'roll/pitch changed by ' || printf('%.1f', (event_id%5)/3.0D) || ' deg' ELSE 'accepted' END AS verdict FROM c"""),
+SELECT event_id, CASE WHEN (event_id%10)/10.0D+0.2D < 0.5D THEN 'sequential edges: too small a share accepted'
+ WHEN least(c0,c1,c2,c3,c4) < -0.03D THEN 'worse: ' || concat_ws(', ', """ + ", ".join(f"CASE WHEN c{i} < -0.03D THEN '{n}' END" for i, n in enumerate(metrics.DIRECTIONS)) + """)
+ WHEN greatest(c0,c1,c2,c3,c4) < 0.02D THEN 'no metric gains enough'
+ WHEN abs(10+(event_id%11)/10.0D-10.0D)/10.0D > 0.05D THEN 'footprint_x_m off by over 5%'
+ WHEN (event_id%17)/20.0D > 0.5D THEN 'poses moved by up to ' || printf('%.2f', (event_id%17)/20.0D) || ' m'
+ WHEN (event_id%23)/4.0D > 5 THEN 'poses turned by up to ' || printf('%.1f', (event_id%23)/4.0D) || ' deg'
+ WHEN (event_id%5)/3.0D > 1 THEN 'poses leant by up to ' || printf('%.1f', (event_id%5)/3.0D) || ' deg' ELSE 'accepted' END AS verdict FROM c"""),
 ):
     QUERIES[_f.__name__] = _f
     ORACLE_SQL[_f.__name__] = _with(_sql)

@@ -81,7 +81,7 @@ def pixels(spark: SparkSession, root: Path, ids: list[int], size: tuple[int, int
     for kind in both:
         for i in ids:
             if not (root / kind / f"{i:06d}.png").is_file():
-                raise CaptureError(f"confidence frame {i} is missing; use --min-confidence 0 to ignore" if kind == "confidence" else f"could not read {i:06d}.png: no such file")
+                raise CaptureError(f"confidence frame {i} is missing, and --min-confidence 0 does without" if kind == "confidence" else f"depth frame {i} is missing")
     read = lambda kind: spark.read.format("binaryFile").load([str(root / kind / f"{i:06d}.png") for i in ids]).select(F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("int").alias("frame_id"), F.col("content").alias(kind))
     files = read("depth")
     if with_confidence:

@@ -30,13 +30,13 @@ def test_no_ceiling_and_no_floor():
     high = room(ceiling=None)
     high[:, 1] += 3
     r = analyse(high).report
-    assert not r["floor"]["observed"] and "no horizontal band" in r["floor"]["reject_reason"] and r["ceiling"]["reject_reason"] == "floor not observed"
+    assert not r["floor"]["observed"] and "no level plane below the camera" in r["floor"]["reject_reason"] and r["ceiling"]["reject_reason"] == "no floor to measure from"
 
 
 def test_two_levels():
     r = analyse(room(levels=(1.0, 1.9))).report
     assert np.allclose(sorted(s["height"]["value_m"] for s in r["ceiling_levels"]), [2.4, 3.3], atol=0.02)
-    assert any("2 separate ceiling levels" in w for w in r["warnings"])
+    assert any("2 ceiling levels" in w for w in r["warnings"])
 
 
 def test_levels_close_together_are_one():
