@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 SOURCE, DEPTH = (1920, 1440), (256, 192)
 
 VIEWS = {
-    "fx_poses": """SELECT CAST(o_orderkey AS INT) AS frame_id, o_orderkey*0.02D+(o_custkey%5)*0.002D AS x, (o_custkey%3)*0.01D AS y, o_orderkey*0.01D AS z,
- 0.0D AS qx, (o_orderkey%8)/64.0D AS qy, 0.0D AS qz, 1.0D AS qw, 1500.0D+(o_orderkey%4) AS fx, 1500.0D AS fy, 960.0D AS cx, 720.0D AS cy FROM orders WHERE o_orderkey < 64""",
-    "fx_pixels": """SELECT frame_id, v, u, MIN(raw) AS raw, MAX(conf) AS conf FROM (SELECT CAST(l_orderkey%64 AS INT) AS frame_id, CAST(l_partkey%192 AS INT) AS v,
+    "fx_poses": """SELECT frame_id, frame_id*0.02D+(c%5)*0.002D AS x, (c%3)*0.01D AS y, frame_id*0.01D AS z,
+ 0.0D AS qx, (frame_id%8)/64.0D AS qy, 0.0D AS qz, 1.0D AS qw, 1500.0D+(frame_id%4) AS fx, 1500.0D AS fy, 960.0D AS cx, 720.0D AS cy
+ FROM (SELECT CAST(floor(o_orderkey/64) AS INT) AS frame_id, MIN(o_custkey) AS c FROM orders GROUP BY CAST(floor(o_orderkey/64) AS INT)) o""",
+    "fx_pixels": """SELECT frame_id, v, u, MIN(raw) AS raw, MAX(conf) AS conf FROM (SELECT CAST(floor(l_orderkey/64) AS INT) AS frame_id, CAST(l_partkey%192 AS INT) AS v,
  CAST((l_suppkey*7+l_linenumber*31+CAST(floor(l_extendedprice) AS BIGINT))%256 AS INT) AS u, CAST(l_quantity*100 AS INT)+(CAST(l_partkey%5 AS INT)-2)*50 AS raw, CAST(l_linenumber%3 AS INT) AS conf FROM lineitem) t GROUP BY frame_id, v, u""",
     "fx_room": """SELECT CAST(row_number() OVER (ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,l_shipdate) AS BIGINT) AS pid,
  CAST(CASE WHEN l_linenumber%4=2 THEN 0.0D ELSE ((l_partkey*37+l_suppkey*101+l_orderkey*13)%300)/100.0D END AS DOUBLE) AS x,

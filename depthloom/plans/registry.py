@@ -177,7 +177,7 @@ def select_frames(spark, d):
 
 
 EIGHT = """eight AS (SELECT frame_id FROM (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS rn, count(*) OVER () AS n FROM fx_poses) q
- WHERE n <= 8 OR rn IN (SELECT CAST(round_even(i*63.0D/7.0D, 0) AS BIGINT) FROM range(8) r(i)))"""
+ WHERE n <= 8 OR rn IN (SELECT CAST(round_even(i*((SELECT count(*) FROM fx_poses)-1)/7.0D, 0) AS BIGINT) FROM range(8) r(i)))"""
 
 
 def _sampled(spark, d) -> DataFrame:
@@ -225,6 +225,49 @@ def relative_transform(spark, d):
     return _rounded(pairs.select("a_pos", *[c.alias(k) for k, c in g.relative("a_", "b_").items()]), "a_pos")
 
 
+_MOTION = [[f"(b_r{i}0*a_r{j}0 + b_r{i}1*a_r{j}1 + b_r{i}2*a_r{j}2)" for j in range(3)] for i in range(3)]
+
+
+@query(
+    PAIRS + "\nSELECT CAST(frame_id AS BIGINT) AS a_pos, " + ", ".join(f"round({_MOTION[i][j]}, 9) + 0.0D AS r{i}{j}" for i in range(3) for j in range(3)) + ", "
+    + ", ".join(f"round(b_t{t} - ({_MOTION[i][0]}*a_tx + {_MOTION[i][1]}*a_ty + {_MOTION[i][2]}*a_tz), 9) + 0.0D AS t{t}" for i, t in enumerate("xyz")) + " FROM nx",
+    "fx_poses",
+)
+def correction_motion(spark, d):
+    """M8: the motion of the world that takes a pose to the next."""
+    pairs = metrics.consecutive(_matrices(spark, d))
+    return _rounded(pairs.select("a_pos", *[c.alias(k) for k, c in g.correction("a_", "b_").items()]), "a_pos")
+
+
+@query(PAIRS + "\nSELECT CAST(frame_id AS BIGINT) AS a_pos, " + ", ".join(f"round(b_{c}, 6) + 0.0D AS {c}" for c in g.MATRIX) + " FROM nx", "fx_poses")
+def corrected_poses(spark, d):
+    """M9: a pose after the motion to the next one is that next one."""
+    pairs = metrics.consecutive(_matrices(spark, d))
+    moved = pairs.select("a_pos", *[f"a_{c}" for c in g.MATRIX], *[c.alias(f"m_{k}") for k, c in g.correction("a_", "b_").items()])
+    return _rounded(moved.select("a_pos", *[c.alias(k) for k, c in g.corrected("a_", "m_").items()]), "a_pos", digits=6)
+
+
+@query(
+    """pl AS (SELECT event_id, (event_id%17)/100.0D AS p, (event_id%23)/100.0D AS q, (event_id%7)/10.0D AS r FROM events)
+SELECT event_id, round(degrees(acos(1/sqrt(p*p+q*q+1))), 9) + 0.0D AS tilt_deg, round(-p/sqrt(p*p+q*q+1), 9) + 0.0D AS a, round(1/sqrt(p*p+q*q+1), 9) + 0.0D AS b, round(-q/sqrt(p*p+q*q+1), 9) + 0.0D AS c, round(-r/sqrt(p*p+q*q+1), 9) + 0.0D AS d,
+ round(CASE WHEN abs(q/(4.685D*0.03D)) >= 1 THEN 0 ELSE (1-(q/(4.685D*0.03D))*(q/(4.685D*0.03D)))*(1-(q/(4.685D*0.03D))*(q/(4.685D*0.03D))) END, 9) + 0.0D AS weight FROM pl""",
+    "fx_conf_files",
+)
+def plane_algebra(spark, d):
+    """Tilt and equation of planes, and the weights of residuals."""
+    pl = spark.read.parquet(f"{d}/events.parquet").select("event_id", *[((F.col("event_id") % m) / k).alias(n) for n, m, k in (("p", 17, 100.0), ("q", 23, 100.0), ("r", 7, 10.0))])
+    tilt, plane = g.plane_tilt_deg(F.col("p"), F.col("q")), g.plane_equation(F.col("p"), F.col("q"), F.col("r"))
+    return _rounded(pl.select("event_id", tilt.alias("tilt_deg"), *[c.alias(n) for n, c in zip("abcd", plane)], g.tukey_weight(F.col("q"), g.lit(0.03)).alias("weight")), "event_id")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS candidates, CAST(sum(CASE WHEN raw BETWEEN 100 AND 5000 THEN 0 ELSE 1 END) AS BIGINT) AS removed_by_depth, CAST(0 AS BIGINT) AS removed_by_confidence FROM fx_pixels", "fx_pixels")
+def filter_counters_without_confidence(spark, d):
+    """F8: a least confidence of 0 removes nothing."""
+    from dataclasses import replace
+
+    return cloud.filter_counters(view(spark, d, "fx_pixels"), replace(OPTIONS, min_confidence=0))
+
+
 @query(
     PAIRS + """, q AS (SELECT frame_id, b_r00*a_r00+b_r01*a_r01+b_r02*a_r02 + b_r10*a_r10+b_r11*a_r11+b_r12*a_r12 + b_r20*a_r20+b_r21*a_r21+b_r22*a_r22 AS tr,
  a_r10*b_r10+a_r11*b_r11+a_r12*b_r12 AS up, sqrt((b_tx-a_tx)*(b_tx-a_tx)+(b_ty-a_ty)*(b_ty-a_ty)+(b_tz-a_tz)*(b_tz-a_tz)) AS len FROM nx)
@@ -479,17 +522,16 @@ SELECT event_id, CASE WHEN (event_id%10)/10.0D+0.2D < 0.5D THEN 'sequential edge
 
 
 @query(
-    """dense AS (SELECT CAST(floor(y/0.1D) AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS area, avg(y) AS height FROM fx_room_points GROUP BY 1 ORDER BY area DESC, b LIMIT 12),
+    """dense AS (SELECT CAST(floor(y/0.1D) AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS area, avg(y) AS height FROM fx_room_points GROUP BY 1),
 ranked AS (SELECT round(height, 6) AS h, row_number() OVER (ORDER BY area DESC, round(height, 6)) AS rn FROM dense),
 fold AS (SELECT list_reduce(list_prepend(CAST([] AS DOUBLE[]), list([h] ORDER BY rn)), lambda kept, h: CASE WHEN len(list_filter(kept, lambda k: abs(k - h[1]) <= 0.15D)) = 0 THEN list_concat(kept, h) ELSE kept END) AS levels FROM ranked)
 SELECT array_to_string(list_transform(levels, lambda x: printf('%.6f', x)), ',') AS levels FROM fold""",
     "fx_room_points",
 )
 def greedy_levels(spark, d):
-    """W9 T-5: heights of the dozen fullest slices, each apart from those kept before."""
+    """W9 T-5: heights of the slices, fullest first, each apart from those kept before."""
     slices = _room(spark, d).groupBy(F.floor(F.col("y") / 0.1).cast("bigint").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("area"), F.avg("y").alias("height"))
-    top = slices.orderBy(F.col("area").desc(), "b").limit(12).select("area", F.round("height", 6).alias("height"))
-    return metrics.greedy_levels(top).select(F.array_join(F.transform("levels", lambda x: F.format_string("%.6f", x)), ",").alias("levels"))
+    return metrics.greedy_levels(slices.select("area", F.round("height", 6).alias("height"))).select(F.array_join(F.transform("levels", lambda x: F.format_string("%.6f", x)), ",").alias("levels"))
 
 
 CHECKS = (
@@ -539,6 +581,14 @@ def plane_analysis(spark, d):
     return out.select("capture_id", *[F.get_json_object("report", f"$.{p}").alias(n) for n, p in (("floor_m", "floor.height_m"), ("floor_tilt_deg", "floor.tilt_deg"), ("floor_area_m2", "floor.solid_area_m2"), ("height_m", "ceiling_height.value_m"), ("halfwidth_m", "ceiling_height.interval_halfwidth_m"))], F.size("counts").alias("bins"))
 
 
+@query("SELECT 'room' AS capture_id, -1.4D AS floor_m, 2.5D AS height_m, TRUE AS level, TRUE AS narrow", "fx_room_points")
+def room_heights(spark, d):
+    """N1-N4 D5-D8 D11 against what the room was built with: its floor and ceiling to a centimetre, level to 0.3 degrees, the interval within 5 cm."""
+    r = plane_analysis(spark, d)
+    number = lambda c: F.col(c).cast("double")
+    return r.select("capture_id", F.round(number("floor_m"), 2).alias("floor_m"), F.round(number("height_m"), 2).alias("height_m"), (number("floor_tilt_deg") < 0.3).alias("level"), (number("halfwidth_m") < 0.05).alias("narrow"))
+
+
 @query()
 def registration_edges(spark, d):
     """Consecutive frames registered; iterative, so rows only."""
@@ -548,8 +598,8 @@ def registration_edges(spark, d):
 
     options = replace(DriftOptions(), min_points=50)
     camera = _camera(spark, d)
-    ids = list(range(64))
-    rows = {r["pos"]: r for r in _matrices(spark, d).collect()}  # 64 poses
+    rows = {r["pos"]: r for r in _matrices(spark, d).collect()}  # a pose for each 64 orders; a capture's poses are the driver's to order
+    ids = sorted(rows)
     import numpy as np
 
     poses = []
@@ -557,5 +607,5 @@ def registration_edges(spark, d):
         m = np.eye(4)
         m[:3, :3], m[:3, 3] = np.array([rows[i][c] for c in g.ROTATION]).reshape(3, 3), [rows[i][c] for c in ("tx", "ty", "tz")]
         poses.append(m)
-    edges = drift.register(spark, drift.scans(camera, options), ids, poses, [(k, k + 1, "sequential") for k in ids[:-1]], options)
+    edges = drift.register(spark, drift.scans(camera, options), ids, poses, [(k, k + 1, "sequential") for k in range(len(ids) - 1)], options)
     return spark.createDataFrame([(e.source, e.target, e.kind, e.accepted, e.reason, round(e.fitness, 5), round(e.inlier_rmse, 5)) for e in edges], "source int, target int, kind string, accepted boolean, reason string, fitness double, inlier_rmse double")
