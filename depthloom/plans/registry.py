@@ -581,9 +581,13 @@ def plane_analysis(spark, d):
     return out.select("capture_id", *[F.get_json_object("report", f"$.{p}").alias(n) for n, p in (("floor_m", "floor.height_m"), ("floor_tilt_deg", "floor.tilt_deg"), ("floor_area_m2", "floor.solid_area_m2"), ("height_m", "ceiling_height.value_m"), ("halfwidth_m", "ceiling_height.interval_halfwidth_m"))], F.size("counts").alias("bins"))
 
 
-@query("SELECT 'room' AS capture_id, -1.4D AS floor_m, 2.5D AS height_m, TRUE AS level, TRUE AS narrow", "fx_room_points")
+@query(
+    """SELECT 'room' AS capture_id, CASE WHEN n >= 20000 THEN -1.4D END AS floor_m, CASE WHEN n >= 20000 THEN 2.5D END AS height_m, CASE WHEN n >= 20000 THEN TRUE END AS level, CASE WHEN n >= 20000 THEN TRUE END AS narrow
+FROM (SELECT count(*) AS n FROM fx_room_points) c""",
+    "fx_room_points",
+)
 def room_heights(spark, d):
-    """N1-N4 D5-D8 D11 against what the room was built with: its floor and ceiling to a centimetre, level to 0.3 degrees, the interval within 5 cm."""
+    """N1-N4 D5-D8 D11 against what the room was built with: its floor and ceiling to a centimetre, level to 0.3 degrees, the interval within 5 cm; a room of a few thousand points has no solid floor, and nothing is measured."""
     r = plane_analysis(spark, d)
     number = lambda c: F.col(c).cast("double")
     return r.select("capture_id", F.round(number("floor_m"), 2).alias("floor_m"), F.round(number("height_m"), 2).alias("height_m"), (number("floor_tilt_deg") < 0.3).alias("level"), (number("halfwidth_m") < 0.05).alias("narrow"))
