@@ -77,3 +77,5 @@ def test_stages(spark, tmp_path):
         whole[r["doc_id"]] += r["length"]
     assert all(whole[r["doc_id"]] == r["doc_tokens"] for r in pieces)
     assert cp.pack_sequences(spark, docs.limit(0), str(tmp_path)).count() == 0
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
