@@ -7,7 +7,7 @@ import pytest
 
 from depthloom.operators import planes
 from depthloom.options import PlaneOptions
-from depthloom.plans.planes import analysed
+from depthloom.plans.planes import analysed, blocks
 from depthloom.sources.sinks import rounded
 from tests.captures import CAMERA, room
 
@@ -81,6 +81,40 @@ def test_grouped_by_capture(spark):
     assert [s["kind"] for s in json.loads(got["a"]["surfaces"])] == ["floor", "ceiling"]
 
 
+def in_blocks(spark, points, most, copies=1):
+    rows = [("a", *map(float, p), k) for k, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "capture_id string, x double, y double, z double, o long").crossJoin(spark.range(copies).drop("id"))
+    return df, analysed(df, {"a": CAMERA.tolist()}, most=most).first()
+
+
+def test_large_capture_goes_in_blocks(spark):
+    points = room()
+    df, row = in_blocks(spark, points, 32_000, copies=4)
+    assert blocks(df, 32_000, PlaneOptions()).count() < len(points) < df.count()  # what one process gets does not grow with the points
+    whole, report = analyse(np.repeat(points, 4, axis=0)), json.loads(row["report"])
+    assert report["point_count"] == 4 * len(points) and row["counts"] == whole.counts.tolist()
+    assert report["ceiling_height"]["value_m"] == pytest.approx(whole.report["ceiling_height"]["value_m"], abs=5e-4)
+    for name in ("height_m", "sigma_m", "residual_median_m", "residual_p90_m", "x_extent_m", "z_extent_m"):
+        assert report["floor"][name] == pytest.approx(whole.report["floor"][name], abs=5e-4)
+    assert report["floor"]["inlier_ratio"] == pytest.approx(whole.report["floor"]["inlier_ratio"], rel=5e-3)
+
+
+def test_blocks_of_like_points_are_exact(spark):
+    points = room(noise=0)
+    points[:, [0, 2]] += np.random.default_rng(1).choice([0, 0.01, 0.02], (len(points), 2))
+    df, row = in_blocks(spark, points, 30_000, copies=3)
+    assert blocks(df, 30_000, PlaneOptions()).agg({"n": "sum"}).first()[0] == 3 * len(points)
+    assert json.loads(row["report"])["floor"]["solid_area_m2"] == pytest.approx(analyse(np.repeat(points, 3, axis=0)).report["floor"]["solid_area_m2"])
+
+
+def test_weighted_quantiles():
+    rng = np.random.default_rng(0)
+    values, n = rng.normal(size=999), rng.integers(1, 9, 999).astype(float)
+    for share in (0.0, 0.1, 0.5, 0.9, 1.0):
+        assert planes.quantile(values, n, share) == pytest.approx(np.quantile(np.repeat(values, n.astype(int)), share))
+    assert planes.quantile(np.ones(3), np.ones(3) * 2, 0.5) == 1
+
+
 def test_one_height_is_an_error():
     with pytest.raises(ValueError, match="one height"):
         analyse(np.zeros((10, 3)))
