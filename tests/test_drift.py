@@ -84,6 +84,13 @@ def edges_of(poses, noise, loops=()):
     return out
 
 
+def test_neighbours_are_not_broadcast(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["neighbour_residual"](spark, entry.DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # not even where the files are small
+
+
 def test_graph_keeps_exact_poses_and_pulls_loops_shut():
     true = [pose(x=0.1 * k) for k in range(20)]
     index = {k: k for k in range(20)}
