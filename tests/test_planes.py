@@ -107,6 +107,18 @@ def test_blocks_of_like_points_are_exact(spark):
     assert json.loads(row["report"])["floor"]["solid_area_m2"] == pytest.approx(analyse(np.repeat(points, 3, axis=0)).report["floor"]["solid_area_m2"])
 
 
+def test_room_heights_in_blocks(spark, monkeypatch):
+    from depthloom.plans import planes as plan
+    from depthloom.plans.registry import QUERIES
+
+    taken = []
+    monkeypatch.setattr(plan, "MOST", 30_000)
+    monkeypatch.setattr(plan, "blocks", lambda points, most, options, f=plan.blocks: taken.append(f(points, most, options)) or taken[0])
+    row = QUERIES["room_heights"](spark, "/root/testdata/sf0.01").first()
+    assert tuple(row) == ("room", -1.4, 2.5, True, True)
+    assert taken[0].agg({"n": "max"}).first()[0] > 1 and taken[0].agg({"n": "sum"}).first()[0] == 60_000
+
+
 def test_weighted_quantiles():
     rng = np.random.default_rng(0)
     values, n = rng.normal(size=999), rng.integers(1, 9, 999).astype(float)
