@@ -119,6 +119,37 @@ def test_room_heights_in_blocks(spark, monkeypatch):
     assert taken[0].agg({"n": "max"}).first()[0] > 1 and taken[0].agg({"n": "sum"}).first()[0] == 60_000
 
 
+def test_size_changes_no_result(spark):
+    points = np.vstack([room(noise=0.02, seed=s) for s in range(2)])
+    whole = json.loads(json.dumps(rounded(analyse(np.repeat(points, 2, axis=0)).report)))
+    for most in (1_000_000, 500):  # far more points than a process may hold: every one counts singly all the same
+        _, row = in_blocks(spark, points, most, copies=2)
+        assert json.loads(row["report"]) == whole
+
+
+@pytest.mark.parametrize("sizes", [(1000, 64, 300, 500), (777, 16, 50, 100)])
+def test_chunks_change_no_result(monkeypatch, sizes):
+    for points in (room(noise=0), np.repeat(room(levels=(1.0, 1.9)).round(2), 2, axis=0)):
+        whole = rounded(analyse(points).report)
+        with monkeypatch.context() as m:
+            for name, size in zip(("CHUNK", "BINS", "HELD", "MOST"), sizes):
+                m.setattr(planes, name, size)
+            cloud = planes.Cloud(sizes[-1])
+            for part in np.array_split(points, 40):
+                cloud.add(np.vstack([part.T, np.ones(len(part))]))
+            assert rounded(planes.analyse(cloud, CAMERA).report) == whole and cloud.file._rolled
+
+
+def test_ranks_are_exact(monkeypatch):
+    monkeypatch.setattr(planes, "BINS", 8)
+    monkeypatch.setattr(planes, "HELD", 20)
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=900), rng.integers(0, 3, 900).astype(float), np.repeat([-1.0, 1.0], 450), np.full(900, 0.1), 1 + rng.random(900) * 1e-12):
+        n = rng.integers(1, 5, 900).astype(float)
+        for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+            assert planes.quantile(values, n, share) == pytest.approx(np.quantile(np.repeat(values, n.astype(int)), share), rel=1e-15)
+
+
 def test_weighted_quantiles():
     rng = np.random.default_rng(0)
     values, n = rng.normal(size=999), rng.integers(1, 9, 999).astype(float)
